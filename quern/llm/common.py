@@ -16,16 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder named by spark.checkpoint.dir.
-
-    Lost executors do not lose it, and what reads it twice sees the same rows. A folder of this
-    machine is used only where the session names none, as in local tests.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; one of this machine only where the session names none, as in local tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder: lost executors do not lose it, and what reads it twice sees the same rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

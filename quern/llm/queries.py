@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.common import table
 from quern.llm.decontaminate import contamination
 from quern.llm.exact_dedup import exact_dedup
+from quern.llm.line_dedup import line_dedup
 from quern.llm.mixing import mix
+from quern.llm.pii import find_pii
 from quern.llm.sharding import shard
 from quern.llm.simhash import simhash_groups
 from quern.llm.substring_dedup import substring_dedup
 from quern.llm.suffix_dedup import suffix_dedup
+from quern.llm.toxicity import fit, toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +35,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,10 +48,18 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("n_spans")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents")).drop("redacted")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 OP1 = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
@@ -74,10 +90,20 @@ SELECT doc_id, size, source_size, target,
 FROM q
 """
 
+OP10 = r"""
+WITH l AS (
+  SELECT doc_id, source, u.line, u.n FROM documents, LATERAL (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n) u),
+b AS (SELECT trim(line, ' ' || chr(9) || chr(13)) AS bare FROM l GROUP BY 1 HAVING count(DISTINCT coalesce('=' || source, '')) >= 5 AND bare <> ''),
+m AS (SELECT l.*, trim(line, ' ' || chr(9) || chr(13)) IN (SELECT bare FROM b) AS gone FROM l)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op4_mixing": OP4}
+    return {"op1_exact_dedup": OP1, "op4_mixing": OP4, "op10_line_dedup": OP10}

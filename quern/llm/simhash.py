@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.arrays import pieces
-from quern.llm.common import settle
+from quern.llm.common import settle, text_of
 from quern.llm.components import components
 
 #: Fingerprints in a tile.
@@ -50,16 +50,17 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row; null texts have fingerprint 0."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
+    """doc_id (long), th (a hash of the text), fp (the fingerprint as a signed long) of every row; null texts have fingerprint 0."""
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("t"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             fps = np.array([fingerprint(texts[k].as_py(), width, seed) for k in range(len(texts))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return rows.mapInArrow(work, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    return rows.mapInArrow(work, "doc_id long, th long, fp long")
 
 
 def compare(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,10 +195,31 @@ def simhash_groups(docs: DataFrame, radius: int = 3, width: int = 3, seed: int =
     rows with a null id get the component of their fingerprint if any row of the component has an id.
     Repeated rows share everything. An empty table gives no rows.
     """
-    fps = settle(fingerprints(docs, width, seed, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")))
+    return _grouped(docs, radius, width, seed, blocks, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, radius: int, width: int, seed: int, blocks: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, th, fp, root (of the component) and component_id of every row."""
+    fps = settle(fingerprints(docs, width, seed, id_col, text_col))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.col("fp"))
     found = components(links(nodes.select("node", "fp"), radius, blocks))
     nodes = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = nodes.join(lowest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(nodes.join(lowest, "root").select("fp", "root", "component_id"), "fp")
+
+
+def drop_near_copies(docs: DataFrame, radius: int = 3, width: int = 3, seed: int = 42, blocks: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with the one row of each component that has the smallest id (null ids last).
+
+    Rows are told apart by id and a hash of the text; of repeated rows one stays. Columns that have
+    the same name as those used here may not occur twice in ``docs``.
+    """
+    rows = _grouped(docs, radius, width, seed, blocks, id_col, text_col)
+    each = rows.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "n"))
+    keep = each.groupBy("root").agg(best.alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.th").alias("__th"), F.col("best.n").alias("__n"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__th"))
+    kept = docs.join(keep, same)
+    single = kept.where("__n = 1").select(*docs.columns)
+    # Only rows that are repeated are looked at again.
+    return single.unionAll(kept.where("__n > 1").dropDuplicates(["__id", "__th"]).select(*docs.columns))
