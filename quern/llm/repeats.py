@@ -29,7 +29,9 @@ from quern.llm.anchors import Anchors, word_units
 from quern.llm.arrays import spread
 
 CHUNK_BYTES = 4 << 20
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
+#: Parts of a bucket whose spans are sorted at a time; all spans under a key are in one part.
+PARTS = 16
 #: Contexts of one anchor from which on its windows are asked one by one.
 HOT = 4096
 _ASK = "bucket long, chunk long, key binary, whole binary, doc binary, pos binary, size binary"
@@ -254,7 +256,8 @@ def ask_third(plan: Plan):
         _, first, many, keys = c.third(code)
         doc, pos = c.rank(first)
         units = lambda a, b: c.units[spread(first[a:b], many[a:b] + plan.window - 1)].tobytes()
-        cut = lambda a, b: (None, units(a, b), doc[a:b].tobytes(), pos[a:b].astype(np.int32).tobytes() if plan.by_place else None, many[a:b].astype(np.uint16).tobytes())
+        part = (keys % np.uint64(PARTS)).astype(np.uint8)
+        cut = lambda a, b: (part[a:b].tobytes(), units(a, b), doc[a:b].tobytes(), pos[a:b].astype(np.int32).tobytes() if plan.by_place else None, many[a:b].astype(np.uint16).tobytes())
         rows = _rows(plan, number, keys, None, cut)
         rows.append(_carry(number, flags, code.tobytes()))
         return _table(rows, _ASK)
@@ -272,13 +275,18 @@ def answer_third(plan: Plan):
             units, _ = _numbers([r["whole"] for r in rows], "u8" if plan.words else "u1")
             doc, _ = _numbers([r["doc"] for r in rows], "i8")
             pos = _numbers([r["pos"] for r in rows], "i4")[0].astype(np.int64) if rows[0]["pos"] is not None else np.zeros(len(doc), dtype=np.int64)
+            part, _ = _numbers([r["key"] for r in rows], "u1")
             many = many.astype(np.int64)
             size = many + plan.window - 1
-            starts = np.cumsum(size) - size
-            at = spread(starts, many)
-            span = np.repeat(np.arange(len(many)), many)
-            place = pos[span] + (at - starts[span] if plan.by_place else 0)
-            earlier = plan.resolve(units, starts, at, doc[span], place, plan)
+            starts, bits = np.cumsum(size) - size, np.cumsum(many) - many
+            earlier = np.zeros(int(many.sum()), dtype=bool)
+            for p in np.unique(part):
+                mine = np.flatnonzero(part == p)
+                n, own = many[mine], units[spread(starts[mine], size[mine])]
+                first = np.cumsum(size[mine]) - size[mine]
+                at, span = spread(first, n), np.repeat(np.arange(len(mine)), n)
+                place = pos[mine][span] + (at - first[span] if plan.by_place else 0)
+                earlier[spread(bits[mine], n)] = plan.resolve(own, first, at, doc[mine][span], place, plan)
             per_row = np.add.reduceat(many, np.cumsum(spans) - spans)
             out += [(r["bucket"], r["chunk"], len(x).to_bytes(4, "little") + np.packbits(x).tobytes()) for r, x in zip(rows, _split(earlier, per_row), strict=True)]
         return _table(out, _ANSWER)
