@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,27 @@ def unit_hash(*columns: Column, seed: int) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
+def join_keyed(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, spread: Column, at_most: int = 1000, salts: int = 1024) -> DataFrame:
+    """``rows`` left-joined with ``table`` (one row per key, null keys equal), whatever share of the rows a key holds.
+
+    ``weight`` is the number of rows that a key of the table has. Keys with more than one
+    ``at_most``-th of their sum are ``at_most`` at most: these alone are broadcast. The rows they
+    match take part in the shuffle for the other keys under salts made of ``spread``, which match
+    nothing there, so that no task gets all rows of a key.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    payload = [c for c in table.columns if c not in keys]
+    side = lambda df, p: df.select(*[F.col(k).alias(f"__{p}_{k}") for k in keys], F.struct(*payload).alias(f"__{p}"))
+    same = lambda p: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{p}_{k}")) for k in keys])
+    heavy = side(table.where(F.col(weight) * at_most > total), "h")
+    light = side(table.where(F.col(weight) * at_most <= total), "l").withColumn("__ls", F.lit(0).cast("long"))
+    joined = rows.join(F.broadcast(heavy), same("h"), "left")
+    salt = F.when(F.col("__h").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(salts)) + 1).cast("long")
+    joined = joined.withColumn("__salt", salt).join(light, same("l") & (F.col("__salt") == F.col("__ls")), "left")
+    found = [F.when(F.col("__h").isNotNull(), F.col(f"__h.{c}")).otherwise(F.col(f"__l.{c}")).alias(c) for c in payload]
+    return joined.select(*rows.columns, *found)
+
+
 def running_sum(rows: DataFrame, keys: list[str], bucket: str, order: list[Column], value: str, name: str) -> DataFrame:
     """``rows`` with ``name``: the sum of ``value`` over the rows of the same keys up to each row, itself included.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import settle, text_of
+from quern.llm.common import join_keyed, settle, text_of
 
 #: A run of white space that is not already one space.
 _RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -55,7 +55,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = settle(rows)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col("__row").alias("row")))
     groups = rows.where("__alive").groupBy("__len", "__ph", "__sha").agg(first.alias("__first"), F.count(F.lit(1)).alias("__size")).where("__size > 1")
-    joined = rows.join(groups, ["__len", "__ph", "__sha"], "left")
+    joined = join_keyed(rows, settle(groups), ["__len", "__ph", "__sha"], "__size", F.col("__row"))
     alone = F.col("__size").isNull()
     return joined.select(
         "doc_id",
