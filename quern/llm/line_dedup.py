@@ -17,19 +17,20 @@ def _key(line: Column) -> Column:
 def spread_lines(lines: DataFrame, least_sites: int, margin: float = 0.1, log2_buckets: int = 12) -> DataFrame:
     """Keys (a, b) of the lines that ``least_sites`` or more sites have; ``lines`` has a, b, site.
 
-    Lines of one site drop out by their least and greatest site. A HyperLogLog sketch per line
-    estimates the sites of the others; sketches are made where the rows are and merged by the
-    aggregation, so a line of every document costs a sketch per task. Where the estimate is within
-    ``margin`` of the threshold (or 2 sites), the sites are counted exactly.
+    A HyperLogLog sketch per line estimates its sites; sketches are made where the rows are and merged
+    by the aggregation, so a line of every document costs a sketch per task. Lines whose least and
+    greatest site are the same drop out. Where the estimate is within ``margin`` of the threshold (or
+    2 sites), the sites are counted exactly.
     """
-    several = lines.groupBy("a", "b").agg(F.min("site").alias("lo"), F.max("site").alias("hi")).where("lo <> hi").select("a", "b")
-    shared = lines.join(several, ["a", "b"], "left_semi")
-    estimates = shared.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", log2_buckets)).alias("n"))
+    sketch = F.hll_sketch_agg("site", log2_buckets)
+    each = lines.groupBy("a", "b").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), sketch.alias("sketch")).where("lo <> hi")
     slack = max(2.0, margin * least_sites)
-    estimates = settle(estimates.where(F.col("n") >= least_sites - slack))
+    estimates = settle(each.select("a", "b", F.hll_sketch_estimate("sketch").alias("n")).where(F.col("n") >= least_sites - slack))
     clear = estimates.where(F.col("n") > least_sites + slack).select("a", "b")
     near = estimates.where(F.col("n") <= least_sites + slack).select("a", "b")
-    exact = shared.join(near, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.countDistinct("site").alias("n")).where(F.col("n") >= least_sites).select("a", "b")
+    # Made distinct where the rows are, so that a frequent line is a row per site here.
+    sites = lines.select("a", "b", "site").distinct().join(near, ["a", "b"], "left_semi")
+    exact = sites.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_sites).select("a", "b")
     return clear.unionAll(exact)
 
 
