@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD, running_sum, settle, unit_hash
+from quern.llm.common import WORD, join_keyed, running_sum, settle, unit_hash
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """Targets of sources (``__source``, ``source_size``): all sizes shared by weight, none above ``most`` times its source.
+    """Targets of sources (``__source``, ``source_size``, ``__rows``): all sizes shared by weight, none above ``most`` times its source.
 
     Sources ordered by code point, null last, take the weights in turn. The level at which the
     weights share what the stopped sources leave is read off running sums over the sources in the
@@ -33,7 +33,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most:
     free = F.first(F.when(~F.col("__stop"), F.struct("__left", "__share")), ignorenulls=True).over(W.partitionBy().orderBy(F.col("__cap") / F.col("__w"), F.col("__source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     level = table.withColumn("__free", free)
     target = F.when(F.col("__stop"), F.col("__cap").cast("double")).otherwise(F.col("__w") * F.col("__free.__left") / F.col("__free.__share"))
-    return level.select("__source", "source_size", target.alias("target"))
+    return level.select("__source", "source_size", "__rows", target.alias("target"))
 
 
 def _measured(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -45,24 +45,25 @@ def _measured(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col
 def _plan(rows: DataFrame, weights: Sequence[float], most: int, buckets: int) -> DataFrame:
     """Per source: source_size, target, certain copies and the last place of the sample."""
     rows = rows.select("__source", "__size", "__u", "__place")
-    targets = source_targets(rows.groupBy("__source").agg(F.sum("__size").alias("source_size")), weights, most)
+    sizes = rows.groupBy("__source").agg(F.sum("__size").alias("source_size"), F.count(F.lit(1)).alias("__rows"))
+    targets = source_targets(sizes, weights, most)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.expr("nullif(source_size, 0)")), F.lit(most))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("__whole", whole).withColumn("__rest", F.col("target") - F.col("__whole") * F.col("source_size"))
     targets = targets.withColumn("__p", F.when(F.col("source_size") > 0, F.col("__rest") / F.expr("nullif(source_size, 0)")).otherwise(F.lit(0.0)))
-    targets = settle(targets.withColumnRenamed("__source", "__s"))
-    ranked = rows.withColumn("__bucket", F.floor(F.col("__u") * buckets)).join(targets, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
+    targets = settle(targets)
+    ranked = join_keyed(rows.withColumn("__bucket", F.floor(F.col("__u") * buckets)), targets, ["__source"], "__rows", F.col("__u"))
     odds = (F.col("__u") / (F.lit(1.0) - F.col("__u"))) / F.expr("nullif(__p / nullif(1.0D - __p, 0D), 0D)")
     ranked = ranked.withColumn("__q", F.coalesce(odds, F.col("__u")))
     # Within a source all inclusion odds are equal, so the bucket of u never falls as q rises.
     summed = running_sum(ranked, ["__source"], "__bucket", [F.col("__q"), F.col("__place")], "__size", "__upto")
     taken = summed.where((F.col("__rest") > 0) & (F.col("__upto") - F.col("__size") / 2 <= F.col("__rest")) & (F.col("__whole") < most))
     last = taken.groupBy("__source").agg(F.max("__place").alias("__last")).withColumnRenamed("__source", "__r")
-    return targets.join(last, F.col("__s").eqNullSafe(F.col("__r")), "left").drop("__r", "__rest", "__p")
+    return targets.join(last, F.col("__source").eqNullSafe(F.col("__r")), "left").drop("__r", "__rest", "__p")
 
 
 def _copied(docs: DataFrame, weights: Sequence[float], most: int, seed: int, buckets: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     rows = _measured(docs, seed, id_col, text_col, source_col)
-    joined = rows.join(_plan(rows, weights, most, buckets), F.col("__source").eqNullSafe(F.col("__s")), "left")
+    joined = join_keyed(rows, settle(_plan(rows, weights, most, buckets)), ["__source"], "__rows", F.col("__u"))
     extra = F.coalesce(F.col("__place") <= F.col("__last"), F.lit(False))
     return joined.withColumn("__copies", (F.col("__whole") + extra.cast("long")).cast("long"))
 
