@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import running_sum, text_of, unit_hash
+from quern.llm.common import join_keyed, running_sum, settle, text_of, unit_hash
 
 
 def shard(docs: DataFrame, shards: int = 16, seed: int = 7, buckets: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -31,15 +31,14 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 7, buckets: int = 1024,
     rows = rows.withColumn("__u", unit_hash(F.col("doc_id"), F.col("text_crc32"), seed=seed)).withColumn("__one", F.lit(1).cast("long"))
     rows = rows.withColumn("__bucket", F.floor(F.col("__u") * buckets))
     ranked = running_sum(rows, ["__source"], "__bucket", [F.col("__u"), F.col("doc_id"), F.col("size")], "__one", "__rank")
-    counts = rows.groupBy("__source").agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed("__source", "__s")
-    ranked = ranked.join(counts, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
+    counts = settle(rows.groupBy("__source").agg(F.count(F.lit(1)).alias("__n")))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    ranked = join_keyed(ranked, counts, ["__source"], "__n", F.col("__u"))
     jitter = unit_hash(F.col("__source"), F.col("__source").isNull(), seed=seed + 1)
     ranked = ranked.withColumn("__frac", (F.col("__rank") - jitter) / F.col("__n"))
     ranked = ranked.withColumn("__part", F.floor(F.col("__frac") * buckets)).withColumn("__all", F.lit(0))
     placed = running_sum(ranked, ["__all"], "__part", [F.col("__frac"), F.col("__source"), F.col("__rank")], "__one", "__at")
-    # The number of rows, as a table of one row.
-    total = rows.agg(F.count(F.lit(1)).alias("__rows"))
-    placed = placed.crossJoin(F.broadcast(total))
+    placed = placed.withColumn("__rows", F.lit(total).cast("long"))
     position = F.col("__at") - 1
     cut = F.expr(f"(__at - 1) * {shards} div __rows")
     return placed.withColumn("__shard", cut).select(
