@@ -360,10 +360,12 @@ def repeats(docs: DataFrame, words: bool, window: int, gram: int, by_place: bool
     plan = Plan(words, window, gram, by_place, resolve, max(at_once, -(-total // BUCKET_BYTES)), with_text, hot)
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
     schema = f"doc_id long, n_{unit} long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    ask = chunked.groupBy("chunk").applyInArrow(ask_first(plan), _ASK)
+    # As many tasks as buckets, up to four times the usual number: small answers take long to find.
+    tasks = min(plan.buckets, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ask = chunked.groupBy("chunk").applyInArrow(ask_first(plan), _ASK).repartition(tasks, "bucket")
     answer = ask.groupBy("bucket").applyInArrow(answer_first, _ANSWER)
-    ask = chunked.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInArrow(ask_second(plan), _ASK)
+    ask = chunked.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInArrow(ask_second(plan), _ASK).repartition(tasks, "bucket")
     answer = ask.groupBy("bucket").applyInArrow(answer_second(plan), _ANSWER)
-    ask = chunked.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInArrow(ask_third(plan), _ASK)
+    ask = chunked.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInArrow(ask_third(plan), _ASK).repartition(tasks, "bucket")
     answer = ask.groupBy("bucket").applyInArrow(answer_third(plan), _ANSWER)
     return chunked.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInArrow(finish(plan, schema), schema)
