@@ -90,7 +90,7 @@ def train(rows: list[tuple[int, np.ndarray]], rate: float, most_terms: int = 20_
     w, v, w0 = np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), rank)), 0.0
     gw, gv, g0, rate_w, decay = np.full(len(chosen), 1e-2), np.full(v.shape, 1e-2), 1e-2, 0.15, 2e-3
     for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 256)):
+        for batch in np.array_split(rng.permutation(len(rows)), min(len(rows), max(24, len(rows) // 256))):
             count = first[batch + 1] - first[batch]
             at = np.repeat(first[batch] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
             i, d = index[at], np.repeat(np.arange(len(batch)), count)
