@@ -36,15 +36,20 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most:
     return level.select("__source", "source_size", "__rows", target.alias("target"))
 
 
-def _measured(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, seed: int, id_col: str, source_col: str) -> DataFrame:
+    """``docs`` with __source, __u (a random number of the id) and __place (what the sample is cut by)."""
+    rows = docs.withColumns({"__source": F.col(source_col).cast("string"), "__u": unit_hash(F.col(id_col), seed=seed)})
+    return rows.withColumn("__place", F.struct("__u", F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id")))
+
+
+def _measured(rows: DataFrame, text_col: str, *more: str) -> DataFrame:
+    """The narrow rows of the whole plan, written out: texts are read and counted once."""
     words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumns({"__source": F.col(source_col).cast("string"), "__size": words, "__u": unit_hash(F.col(id_col), seed=seed), "__id": F.coalesce(F.col(id_col).cast("string"), F.lit(""))})
-    return rows.withColumn("__place", F.struct("__u", "__id", "__size"))
+    return settle(rows.select("__source", "__u", "__place", words.alias("__size"), *more))
 
 
 def _plan(rows: DataFrame, weights: Sequence[float], most: int, buckets: int) -> DataFrame:
     """Per source: source_size, target, certain copies and the last place of the sample."""
-    rows = rows.select("__source", "__size", "__u", "__place")
     sizes = rows.groupBy("__source").agg(F.sum("__size").alias("source_size"), F.count(F.lit(1)).alias("__rows"))
     targets = source_targets(sizes, weights, most)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.expr("nullif(source_size, 0)")), F.lit(most))).otherwise(F.lit(0)).cast("long")
@@ -55,15 +60,14 @@ def _plan(rows: DataFrame, weights: Sequence[float], most: int, buckets: int) ->
     odds = (F.col("__u") / (F.lit(1.0) - F.col("__u"))) / F.expr("nullif(__p / nullif(1.0D - __p, 0D), 0D)")
     ranked = ranked.withColumn("__q", F.coalesce(odds, F.col("__u")))
     # Within a source all inclusion odds are equal, so the bucket of u never falls as q rises.
-    summed = running_sum(ranked, ["__source"], "__bucket", [F.col("__q"), F.col("__place")], "__size", "__upto")
+    summed = running_sum(ranked, ["__source"], "__bucket", [F.col("__q"), F.col("__place"), F.col("__size")], "__size", "__upto")
     taken = summed.where((F.col("__rest") > 0) & (F.col("__upto") - F.col("__size") / 2 <= F.col("__rest")) & (F.col("__whole") < most))
     last = taken.groupBy("__source").agg(F.max("__place").alias("__last")).withColumnRenamed("__source", "__r")
     return targets.join(last, F.col("__source").eqNullSafe(F.col("__r")), "left").drop("__r", "__rest", "__p")
 
 
-def _copied(docs: DataFrame, weights: Sequence[float], most: int, seed: int, buckets: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    rows = _measured(docs, seed, id_col, text_col, source_col)
-    joined = join_keyed(rows, settle(_plan(rows, weights, most, buckets)), ["__source"], "__rows", F.col("__u"))
+def _copied(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    joined = join_keyed(rows, settle(plan), ["__source"], "__rows", F.col("__u"))
     extra = F.coalesce(F.col("__place") <= F.col("__last"), F.lit(False))
     return joined.withColumn("__copies", (F.col("__whole") + extra.cast("long")).cast("long"))
 
@@ -79,16 +83,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, se
     mixture. A source is summed over hash buckets, never in one task.
 
     One row per input row: doc_id, source, size (words; null text: 0), source_size, target, copies,
-    taken (size times copies). Null is a source of its own, the last; rows of equal id and size are
-    taken or left together; documents without words take no words and keep the certain copies. An
+    taken (size times copies). Null is a source of its own, the last; rows of one id are taken or left
+    together; documents without words take no words and keep the certain copies. An
     empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    rows = _copied(rows, weights, most, seed, buckets, "doc_id", "text", "source")
+    rows = _measured(_keyed(rows, seed, "doc_id", "source"), "text", "doc_id")
+    rows = _copied(rows, _plan(rows, weights, most, buckets))
     return rows.select("doc_id", F.col("__source").alias("source"), F.col("__size").alias("size"), "source_size", "target", F.col("__copies").alias("copies"), (F.col("__size") * F.col("__copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: int = 11, buckets: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixture itself: every row of ``docs``, all columns, as many times as ``mix`` takes it."""
-    rows = _copied(docs, weights, most, seed, buckets, id_col, text_col, source_col).where("__copies > 0")
+    rows = _keyed(docs, seed, id_col, source_col)
+    rows = _copied(rows, _plan(_measured(rows, text_col), weights, most, buckets)).where("__copies > 0")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

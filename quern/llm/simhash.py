@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.arrays import pieces
-from quern.llm.common import settle, text_of
+from quern.llm.common import join_keyed, settle, text_of
 from quern.llm.components import components
 
 #: Fingerprints in a tile.
@@ -201,11 +201,12 @@ def simhash_groups(docs: DataFrame, radius: int = 3, width: int = 3, seed: int =
 def _grouped(docs: DataFrame, radius: int, width: int, seed: int, blocks: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, th, fp, root (of the component) and component_id of every row."""
     fps = settle(fingerprints(docs, width, seed, id_col, text_col))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.col("fp"))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows")).withColumn("node", F.col("fp"))
     found = components(links(nodes.select("node", "fp"), radius, blocks))
     nodes = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return fps.join(nodes.join(lowest, "root").select("fp", "root", "component_id"), "fp")
+    named = settle(nodes.join(lowest, "root").select("fp", "root", "component_id", "rows"))
+    return join_keyed(fps, named, ["fp"], "rows", F.xxhash64("th", "doc_id")).drop("rows")
 
 
 def drop_near_copies(docs: DataFrame, radius: int = 3, width: int = 3, seed: int = 42, blocks: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
