@@ -37,6 +37,12 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def numbered(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns renamed c0, c1, ..., so that none clashes with a name used here, and the new names of ``wanted``."""
+    names = docs.columns
+    return docs.toDF(*[f"c{k}" for k in range(len(names))]), [f"c{names.index(w)}" for w in wanted]
+
+
 def unit_hash(*columns: Column, seed: int) -> Column:
     """A number in (0, 1) that depends on the seed and the columns alone (52 bits of their MD5)."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD, join_keyed, running_sum, settle, unit_hash
+from quern.llm.common import WORD, join_keyed, numbered, running_sum, settle, unit_hash
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -95,6 +95,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, se
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: int = 11, buckets: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixture itself: every row of ``docs``, all columns, as many times as ``mix`` takes it."""
+    names = docs.columns
+    docs, (id_col, text_col, source_col) = numbered(docs, id_col, text_col, source_col)
     rows = _keyed(docs, seed, id_col, source_col)
     rows = _copied(rows, _plan(_measured(rows, text_col), weights, most, buckets)).where("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns).toDF(*names)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.arrays import pieces
-from quern.llm.common import join_keyed, settle, text_of
+from quern.llm.common import join_keyed, numbered, settle, text_of
 from quern.llm.components import components
 
 #: Fingerprints in a tile.
@@ -212,9 +212,11 @@ def _grouped(docs: DataFrame, radius: int, width: int, seed: int, blocks: int, i
 def drop_near_copies(docs: DataFrame, radius: int = 3, width: int = 3, seed: int = 42, blocks: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with the one row of each component that has the smallest id (null ids last).
 
-    Rows are told apart by id and a hash of the text; of repeated rows one stays. Columns that have
-    the same name as those used here may not occur twice in ``docs``.
+    Rows are told apart by id and a hash of the text; of repeated rows one stays. Columns may have
+    any names.
     """
+    names = docs.columns
+    docs, (id_col, text_col) = numbered(docs, id_col, text_col)
     rows = _grouped(docs, radius, width, seed, blocks, id_col, text_col)
     each = rows.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "n"))
@@ -223,4 +225,4 @@ def drop_near_copies(docs: DataFrame, radius: int = 3, width: int = 3, seed: int
     kept = docs.join(keep, same)
     single = kept.where("__n = 1").select(*docs.columns)
     # Only rows that are repeated are looked at again.
-    return single.unionAll(kept.where("__n > 1").dropDuplicates(["__id", "__th"]).select(*docs.columns))
+    return single.unionAll(kept.where("__n > 1").dropDuplicates(["__id", "__th"]).select(*docs.columns)).toDF(*names)

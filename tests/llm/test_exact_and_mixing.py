@@ -46,6 +46,8 @@ def test_mixing(spark, docs):
     assert abs(sum({(r.source, r.target) for r in rows} and {r.source: r.target for r in rows}.values()) - sum({r.source: r.source_size for r in rows}.values())) < 1e-6
     assert mixed(docs).columns == docs.columns
     assert mixed(docs).count() == sum(r.copies for r in rows)
+    clashing = docs.selectExpr("*", "7 AS __u", "8 AS __copies", "9 AS __salt", "10 AS c1")
+    assert mixed(clashing).columns == clashing.columns and {(r["__u"], r["__copies"], r["__salt"], r["c1"]) for r in mixed(clashing).collect()} == {(7, 8, 9, 10)}
 
 
 def test_mixing_meets_targets(spark):

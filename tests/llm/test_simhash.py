@@ -66,6 +66,8 @@ def test_groups(spark):
     assert got == sorted([(d, f"{f:016x}", name(f)) for d, f in fps], key=repr)
     kept = drop_near_copies(df.select("doc_id", "text")).collect()
     assert len(kept) == len(low) and {r.doc_id for r in kept} == {name(f) for _, f in fps}
+    clashing = df.selectExpr("*", "1 AS __id", "2 AS __n", "3 AS root", "4 AS th", "5 AS c0")
+    assert drop_near_copies(clashing).columns == clashing.columns and drop_near_copies(clashing).count() == len(kept)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_groups(empty).collect() == drop_near_copies(empty).collect() == []
 
