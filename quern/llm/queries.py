@@ -66,6 +66,21 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
+OP3 = r"""
+WITH poly AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS b))),
+x AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+d AS (
+  SELECT doc_id, source, (strlen(h) // 2 + 1)::BIGINT AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM x, poly),
+u AS (SELECT *, (('0x' || substr(md5('7:' || doc_id || ':' || text_crc32), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u,
+    (('0x' || substr(md5('8:' || coalesce(source, '') || ':' || (source IS NULL)::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS jitter FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY u, doc_id, size) AS place, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM u),
+f AS (SELECT *, row_number() OVER (ORDER BY (place - jitter) / n, source NULLS FIRST, place) - 1 AS at_ FROM r),
+s AS (SELECT *, at_ * 16 // total AS shard FROM f)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, (at_ - (shard * total + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard FROM s
+"""
+
 OP4 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -141,4 +156,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op4_mixing": OP4, "op6_decontamination": OP6, "op7_substring_dedup": OP7, "op9_suffix_dedup": OP9, "op10_line_dedup": OP10}
+    return {"op1_exact_dedup": OP1, "op3_sharding": OP3, "op4_mixing": OP4, "op6_decontamination": OP6, "op7_substring_dedup": OP7, "op9_suffix_dedup": OP9, "op10_line_dedup": OP10}
