@@ -85,7 +85,8 @@ class Anchors:
             first, last = self._hash(sums, begin, self.window), self._hash(sums, end, self.window)
             firsts.append(begin + s)
             lasts.append(end + s)
-            hashes.append(grams[at[begin]])
+            # The least of many hashes is small; mixed once more, anchors spread evenly over ranges of keys.
+            hashes.append(mix(grams[at[begin]]))
             wholes.append(mix(first * np.uint64(0x8CB92BA72F3D8DD7) + last + (end - begin).astype(np.uint64)))
         if not firsts:
             none = np.zeros(0, dtype=np.int64)
