@@ -217,7 +217,11 @@ def drop_near_copies(docs: DataFrame, radius: int = 3, width: int = 3, seed: int
     """
     names = docs.columns
     docs, (id_col, text_col) = numbered(docs, id_col, text_col)
-    rows = _grouped(docs, radius, width, seed, blocks, id_col, text_col)
+    return keep_first(docs, _grouped(docs, radius, width, seed, blocks, id_col, text_col), id_col, text_col).toDF(*names)
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The one row of ``docs`` of each root in ``rows`` (doc_id, th, root) that has the smallest id (null ids last)."""
     each = rows.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "n"))
     keep = each.groupBy("root").agg(best.alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.th").alias("__th"), F.col("best.n").alias("__n"))
@@ -225,4 +229,4 @@ def drop_near_copies(docs: DataFrame, radius: int = 3, width: int = 3, seed: int
     kept = docs.join(keep, same)
     single = kept.where("__n = 1").select(*docs.columns)
     # Only rows that are repeated are looked at again.
-    return single.unionAll(kept.where("__n > 1").dropDuplicates(["__id", "__th"]).select(*docs.columns)).toDF(*names)
+    return single.unionAll(kept.where("__n > 1").dropDuplicates(["__id", "__th"]).select(*docs.columns))
