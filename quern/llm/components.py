@@ -15,7 +15,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     small-star step its smaller ones. Both keep the components, and after about log2(n) rounds only
     stars around the smallest nodes are left. A node's neighbours are never gathered: the smallest
     one comes from a pre-aggregated minimum that is joined back. Each round's links are written out,
-    so that a lost executor repeats one round at most.
+    so that a lost executor repeats one round at most. Links that are not stars after ``most_rounds``
+    rounds raise an error.
     """
     links = settle(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct())
     state = None
@@ -30,4 +31,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
+    else:
+        raise RuntimeError(f"links are not stars after {most_rounds} rounds")
     return links.select(F.col("v").alias("node"), F.col("u").alias("root"))

@@ -97,3 +97,9 @@ def test_links(spark, tile):
 def test_components_of_a_long_path(spark):
     got = components(spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")).collect()
     assert {(r.node, r.root) for r in got} == {(i, 0) for i in range(1, 61)} | {(101, 100)}
+
+
+def test_components_raise_when_rounds_run_out(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(path, 2)
