@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing over words."""
+"""Substring dedup by looking up every window of words, in place of a relative Lempel-Ziv parse."""
 
 from __future__ import annotations
 
@@ -9,12 +9,11 @@ from quern.llm.repeats import HOT, repeats
 
 
 def by_factors(units: np.ndarray, starts: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray, plan) -> np.ndarray:
-    """Which of the windows at ``at`` occur earlier: a greedy parse against the block of all spans given.
+    """Which of the windows at ``at`` occur earlier in the block of all spans given.
 
-    The block is indexed by the hash of each window, in order of (document, place); the first place
-    of a window is its reference. A factor is a run of windows whose references are earlier places; it
-    may pass from one reference to another, since the windows across such a boundary are looked up like
-    all others. Factors shorter than a window are of no use here and are not formed.
+    Window hashes are sorted in order of (document, place); a window whose first place is an earlier
+    one is marked. This replaces the greedy Lempel-Ziv parse: no factor is formed and no boundary is
+    checked, since every window, those that a parse would cut included, is judged on its own.
     """
     key = plan.anchors.window_hashes(units, at)
     order = np.lexsort((place, doc, key))
