@@ -179,7 +179,7 @@ def _run(docs: DataFrame, benchmark: DataFrame, window: int, share: int, part_by
                 got = scored([t for _, t in group], indexes, share)
                 part = batch.slice(group[0][0], len(group))
                 if keep:
-                    yield part.drop_columns(["t"]).filter(pa.array([not x for x in got["contaminated"]]))
+                    yield part.drop_columns(["t"]).filter(pa.array([not x for x in got["n_hit"]], type=pa.bool_()))
                 else:
                     types = [pa.int64()] * 3 + [pa.string(), pa.bool_()] + [pa.int64()] * 2
                     yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v, kind) for v, kind in zip(got.values(), types, strict=True)]], names=["doc_id", *got])
@@ -213,6 +213,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     return _run(docs, benchmark, window, share, part_bytes, id_col, text_col, item_col, bench_text, keep=False)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, part_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text: str = "text") -> DataFrame:
-    """``docs``, all columns, without the rows that ``contamination`` calls contaminated."""
-    return _run(docs, benchmark, window, share, part_bytes, id_col, text_col, item_col, bench_text, keep=True)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, part_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text: str = "text") -> DataFrame:
+    """``docs``, all columns under their names, without the rows in which any window of the benchmark occurs (n_hit > 0).
+
+    Nulls, repeated rows and empty tables are as for ``contamination``: a null or empty text stays, of
+    repeated rows all stay or all go, an empty benchmark removes nothing.
+    """
+    return _run(docs, benchmark, window, 20, part_bytes, id_col, text_col, item_col, bench_text, keep=True)
