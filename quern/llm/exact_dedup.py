@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import join_keyed, settle, text_of
+from quern.llm.common import bitmap, bitmap_bits, join_keyed, marked, settle, text_of
 
 #: A run of white space that is not already one space.
 _RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -16,11 +16,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, _RUN, " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, filter_bits: int = 26, digest_all: bool = False) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, filter_bits: int | None = None, digest_all: bool = False) -> DataFrame:
     """Group documents of equal text; one row per input row: id, keep_id, group_size, kept, text_sha256.
 
     The first scan counts (length, hash of the first ``prefix`` characters) and keeps the pairs that
-    occur twice in a bitmap of 2**filter_bits bits, whose size does not depend on the data. The
+    occur twice in a bitmap of 2**filter_bits bits: by default eight a row, but 2**28 (32 MB) at most. The
     second scan takes the full hash only of rows whose pair is in the bitmap; a false hit costs a
     hash and changes nothing. Groups are made of the surviving narrow rows, pre-aggregated by task.
 
@@ -32,19 +32,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = normalised(text_of(text_col))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("__t"))
     base = base.select("doc_id", "__t", F.octet_length("__t").alias("__len"), F.xxhash64(F.substring("__t", 1, prefix)).alias("__ph"))
-    size = 1 << filter_bits
-    position = F.pmod(F.xxhash64("__len", "__ph"), F.lit(size))
-    by_length = base.groupBy("__len", "__ph").agg(F.count(F.lit(1)).alias("__n"))
-    crowded = by_length.where("__n > 1").select(position.alias("__pos"))
-    bitmap = crowded.groupBy(F.expr("__pos div 32768").alias("__bucket")).agg(F.expr("bitmap_construct_agg(cast(__pos % 32768 as int))").alias("__bits"))
-    marked = base.withColumn("__pos", position).withColumn("__slot", F.expr("__pos div 32768"))
-    # At most 2**filter_bits / 8 bytes: 8 MB by default.
-    marked = marked.join(F.broadcast(bitmap), F.col("__slot") == F.col("__bucket"), "left")
-    byte = F.expr("cast(conv(hex(substring(__bits, cast(__pos % 32768 div 8 as int) + 1, 1)), 16, 10) as int)")
-    survives = F.coalesce(F.expr("shiftright(__byte, cast(__pos % 8 as int)) & 1") == 1, F.lit(False))
-    marked = marked.withColumn("__byte", byte).withColumn("__alive", survives)
+    bits = filter_bits or bitmap_bits(docs.count())
+    crowded = base.groupBy("__len", "__ph").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.xxhash64("__len", "__ph").alias("__key"))
+    found = marked(base, F.xxhash64("__len", "__ph"), bitmap(crowded, "__key", bits), bits, "__alive")
     digest = F.unhex(F.sha2("__t", 256))
-    rows = marked.select(
+    rows = found.select(
         "doc_id",
         F.monotonically_increasing_id().alias("__row"),
         "__len",

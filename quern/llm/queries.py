@@ -86,7 +86,7 @@ WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     (('0x' || substr(md5('11:' || doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w, 3 * source_size AS cap FROM s),
 r AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0))::BIGINT AS rest,
@@ -96,12 +96,15 @@ c AS (SELECT *, w * rest >= cap * share AS stop FROM r),
 f AS (SELECT rest AS f_rest, share AS f_share FROM c WHERE NOT stop ORDER BY cap / w, source NULLS LAST LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN stop THEN cap::DOUBLE ELSE w * f_rest / f_share END AS target FROM c LEFT JOIN f ON true),
 k AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS whole FROM t),
-q AS (
-  SELECT d.doc_id, d.size, k.source_size, k.target, k.whole, k.target - k.whole * k.source_size AS rem,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS upto
-  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source)
+l AS (SELECT source, sum(size * (size * 1024 // (size + mean)))::BIGINT AS longs FROM d JOIN (SELECT source AS src, greatest(source_size // n, 1) AS mean FROM s) ON source IS NOT DISTINCT FROM src GROUP BY source),
+n AS (SELECT d.*, k.source_size, k.target, k.whole, k.target - k.whole * k.source_size AS rem, greatest(k.source_size // s.n, 1) AS mean, l.longs
+  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN l ON d.source IS NOT DISTINCT FROM l.source),
+i AS (SELECT *, CASE WHEN source_size > 0 AND whole < 3 THEN rem / source_size ELSE 0.0 END::DOUBLE AS p, (size * 1024 // (size + mean)) / 1024.0::DOUBLE - longs / (1024.0::DOUBLE * source_size) AS g FROM n),
+pi AS (SELECT *, p * (1.0::DOUBLE + (1.0::DOUBLE - p) * g) AS pi FROM i),
+o AS (SELECT *, CASE WHEN pi > 0 AND pi < 1 THEN (u / (1.0::DOUBLE - u)) / (pi / (1.0::DOUBLE - pi)) END AS q FROM pi),
+q AS (SELECT *, CASE WHEN q IS NOT NULL THEN sum(size) OVER (PARTITION BY source ORDER BY q, doc_id::VARCHAR, size ROWS UNBOUNDED PRECEDING) END AS upto FROM o)
 SELECT doc_id, size, source_size, target,
-  (size * (whole + CASE WHEN rem > 0 AND upto - size / 2.0 <= rem AND whole < 3 THEN 1 ELSE 0 END))::BIGINT AS taken
+  (size * (whole + CASE WHEN upto - size / 2.0 <= rem THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM q
 """
 

@@ -56,6 +56,24 @@ def test_mixing_meets_targets(spark):
     assert all(abs(r.taken - r.target) <= 3 * r.size for r in per)
 
 
+def test_mixing_prefers_by_inclusion_odds(spark):
+    """One source sampled to about half: longer documents are likelier, and the order is that of q, not of u."""
+    rows = [(i, "a", " ".join(["w"] * (1 + (i * 37) % 400))) for i in range(4000)] + [(4000 + i, "b", " ".join(["w"] * 200)) for i in range(9000)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mix(frame, weights=(1, 4)).where("source = 'a'").collect()
+    target, taken = got[0].target, sum(r.taken for r in got)
+    whole = int(target // got[0].source_size)
+    picked = [r.copies - whole for r in got]
+    assert abs(taken - target) <= 200 and 0 < sum(picked) < len(picked) and set(picked) == {0, 1}
+    longer = [p for r, p in zip(got, picked, strict=True) if r.size > 300]
+    shorter = [p for r, p in zip(got, picked, strict=True) if r.size <= 100]
+    assert sum(longer) / len(longer) > sum(shorter) / len(shorter) + 0.05
+    u = {r.doc_id: (int(hashlib.md5(f"11:{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for r in got}
+    assert max(u[r.doc_id] for r, p in zip(got, picked, strict=True) if p) > min(u[r.doc_id] for r, p in zip(got, picked, strict=True) if not p)
+    small = sorted(map(tuple, mix(frame, weights=(1, 4), in_bucket=50).collect()))
+    assert small == sorted(map(tuple, mix(frame, weights=(1, 4)).collect()))
+
+
 def test_sharding(spark, docs):
     got = shard(docs, shards=4).collect()
     assert Counter(r.doc_id for r in got) == Counter(d for d, _, _ in ROWS)
@@ -69,7 +87,7 @@ def test_sharding(spark, docs):
 
 def test_shards_match_the_mixture(spark):
     big = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 4 == 0, "rare").otherwise("hot").alias("source"))
-    per = shard(big, shards=8, buckets=32).groupBy("shard").agg(F.count("*").alias("n"), F.sum((F.col("source") == "rare").cast("int")).alias("rare")).collect()
+    per = shard(big, shards=8, in_bucket=100).groupBy("shard").agg(F.count("*").alias("n"), F.sum((F.col("source") == "rare").cast("int")).alias("rare")).collect()
     assert len(per) == 8 and all(r.n == 500 and abs(r.rare - 125) <= 2 for r in per)
 
 

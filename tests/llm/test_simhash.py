@@ -4,12 +4,13 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
 from quern.llm.arrays import pieces
 from quern.llm.components import components
-from quern.llm.simhash import drop_near_copies, fingerprint, links, simhash_groups
+from quern.llm.simhash import compare, drop_near_copies, fingerprint, key_blocks, links, simhash_groups
 
 
 def by_hand(text):
@@ -72,8 +73,8 @@ def test_groups(spark):
     assert simhash_groups(empty).collect() == drop_near_copies(empty).collect() == []
 
 
-@pytest.mark.parametrize("tile", [2048, 16])
-def test_links(spark, tile):
+@pytest.mark.parametrize(("tile", "blocks"), [(2048, 5), (16, 5), (16, 4), (16, 1), (2048, 1)])
+def test_links(spark, tile, blocks):
     rng = random.Random(3)
     values = set()
     for x in [rng.getrandbits(64) for _ in range(3)]:
@@ -89,11 +90,38 @@ def test_links(spark, tile):
     for v in values:
         want[root[v]].add(signed(v))
     got = defaultdict(set)
-    for r in components(links(spark.createDataFrame([(signed(v), signed(v)) for v in values], "node long, fp long"), 3, 5, tile)).collect():
+    for r in components(links(spark.createDataFrame([(signed(v), signed(v)) for v in values], "node long, fp long"), 3, blocks, tile)).collect():
         got[r.root] |= {r.node, r.root}
     assert sorted(map(sorted, got.values())) == sorted(sorted(s) for s in want.values() if len(s) > 1)
 
 
+def test_key_blocks():
+    assert [key_blocks(n, 3) for n in (0, 1 << 16, (1 << 16) + 1, 1 << 27, 1 << 28)] == [1, 1, 4, 4, 5]
+
+
+@pytest.mark.parametrize("rows", [4, 64])
+def test_compare(rows):
+    rng = np.random.default_rng(2)
+    fp = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    fp[100:200] = fp[:100] ^ (np.uint64(1) << rng.integers(0, 64, 100).astype(np.uint64))
+    group = np.sort(rng.integers(0, 3, 300))
+    order = np.lexsort((np.bitwise_count(fp), group))
+    group, fp = group[order], fp[order]
+    i, j = compare(group, fp, 3, rows)
+    both = {frozenset(p) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    every = {frozenset((a, b)) for a in range(300) for b in range(a) if group[a] == group[b] and int(fp[a] ^ fp[b]).bit_count() <= 3}
+    assert every and both <= every
+    same = lambda pairs: sorted(sorted(v) for v in _classes(roots(list(range(300)), lambda a, b: frozenset((a, b)) in pairs)))
+    assert same(both) == same(every)
+
+
+def _classes(root):
+    out = defaultdict(list)
+    for k, r in root.items():
+        out[r].append(k)
+    return out.values()
+
+
 def test_components_of_a_long_path(spark):
     got = components(spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")).collect()
     assert {(r.node, r.root) for r in got} == {(i, 0) for i in range(1, 61)} | {(101, 100)}
