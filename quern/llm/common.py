@@ -103,8 +103,9 @@ def marked(rows: DataFrame, key: Column, made: DataFrame, bits: int, name: str)
     return rows.withColumn("__byte", byte).select(*columns, hit.alias(name))
 
 
-#: Rows of a source or of the whole that one task sorts, by rule of thumb.
-IN_BUCKET = 50_000
+def root_of(rows: str) -> str:
+    """SQL for a number of buckets that leaves as many rows to a bucket as there are buckets, about."""
+    return f"(1L + floor(sqrt({rows})))"
 
 
 def running_sum(rows: DataFrame, keys: list[str], bucket: str, order: list[Column], value: str, name: str) -> DataFrame:

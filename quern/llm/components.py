@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import settle
+from quern.llm.common import join_keyed, settle
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -14,18 +14,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     In the large-star step each node links its larger neighbours to its smallest neighbour, in the
     small-star step its smaller ones. Both keep the components, and after about log2(n) rounds only
     stars around the smallest nodes are left. A node's neighbours are never gathered: the smallest
-    one comes from a pre-aggregated minimum that is joined back. Each round's links are written out,
+    one comes from a pre-aggregated minimum that is joined back by broadcast, or salted where there are
+    too many, whatever share of the links a node holds. Each round's links are written out,
     so that a lost executor repeats one round at most. Links that are not stars after ``most_rounds``
-    rounds raise an error.
+    rounds raise an error. Null ends and links of a node to itself count for nothing, repeated links once;
+    no links, no rows.
     """
     links = settle(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct())
     state = None
     for _ in range(most_rounds):
         both = links.select(F.col("v").alias("x"), F.col("u").alias("y")).unionAll(links.select(F.col("u").alias("x"), F.col("v").alias("y")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u")
+        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_keyed(both, least, ["x"], "n", F.col("y")).where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
+        large = settle(large)
+        low = large.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_keyed(large, low, ["v"], "n", F.col("u")).select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u")
         links = settle(small.where("v <> u").distinct())
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import IN_BUCKET, WORD, join_keyed, numbered, running_sum, settle, unit_hash
+from quern.llm.common import WORD, join_keyed, numbered, root_of, running_sum, settle, unit_hash
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -66,7 +66,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__q", F.expr("CASE WHEN __pi > 0 AND __pi < 1 THEN (__u / (1.0D - __u)) / (__pi / (1.0D - __pi)) END"))
 
 
-def _plan(rows: DataFrame, weights: Sequence[float], most: int, in_bucket: int) -> DataFrame:
+def _plan(rows: DataFrame, weights: Sequence[float], most: int) -> DataFrame:
     """Per source: source_size, target, certain copies, what ranks its documents and the last place of the sample."""
     sizes = rows.groupBy("__source").agg(F.sum("__size").alias("source_size"), F.count(F.lit(1)).alias("__rows"))
     targets = source_targets(sizes, weights, most)
@@ -78,8 +78,8 @@ def _plan(rows: DataFrame, weights: Sequence[float], most: int, in_bucket: int)
     longs = longs.groupBy(F.col("__source").alias("__r")).agg(F.sum(F.expr(f"__size * ({_LONG})")).alias("__longs"))
     targets = settle(targets.join(longs, F.col("__source").eqNullSafe(F.col("__r")), "left").drop("__r"))
     ranked = _ranked(join_keyed(rows, targets, ["__source"], "__rows", F.col("__u"))).where("__q is not null")
-    # Never falls as q rises, and deals a source's documents into buckets of about in_bucket rows.
-    ranked = ranked.withColumn("__many", F.expr(f"1L + __rows div {in_bucket}")).withColumn("__bucket", F.expr("__many - floor(__many / (1.0D + __q * (__p / (1.0D - __p))))"))
+    # Never falls as q rises, and deals a source's documents into buckets of about the root of its rows.
+    ranked = ranked.withColumn("__many", F.expr(root_of("__rows"))).withColumn("__bucket", F.expr("__many - floor(__many / (1.0D + __q * (__p / (1.0D - __p))))"))
     summed = running_sum(ranked, ["__source"], "__bucket", [F.col("__q"), F.col("__place"), F.col("__size")], "__size", "__upto")
     taken = summed.where(F.col("__upto") - F.col("__size") / 2 <= F.col("__rest"))
     last = taken.groupBy("__source").agg(F.max(F.struct("__q", "__place")).alias("__last")).withColumnRenamed("__source", "__r")
@@ -92,7 +92,7 @@ def _copied(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return joined.withColumn("__copies", (F.col("__whole") + extra.cast("long")).cast("long"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: int = 11, in_bucket: int = IN_BUCKET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often each document enters a mixture whose sources meet ``source_targets`` in words.
 
     A source's target over its size gives every document floor(ratio) certain whole copies. Of what
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, se
     sampling). The size of the sample is fixed in words, which the targets are in: it is the
     prefix whose words come nearest to what the copies leave, so a source misses its target by half a
     document at most. No document is taken over ``most`` times. The same rows and seed give the same
-    mixture. A source is summed over buckets of about ``in_bucket`` rows, never in one task.
+    mixture. A source is summed over buckets of about the root of its rows, never in one task.
 
     One row per input row: doc_id, source, size (words; null text: 0), source_size, target, copies,
     taken (size times copies). Null is a source of its own, the last; rows of one id and size are taken or left
@@ -111,11 +111,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, se
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     # Texts are read and counted once.
     rows = settle(_keyed(rows, seed, "doc_id", "text", "source").select("__source", "__u", "__place", "__size", "doc_id"))
-    rows = _copied(rows, _plan(rows, weights, most, in_bucket))
+    rows = _copied(rows, _plan(rows, weights, most))
     return rows.select("doc_id", F.col("__source").alias("source"), F.col("__size").alias("size"), "source_size", "target", F.col("__copies").alias("copies"), (F.col("__size") * F.col("__copies")).alias("taken"))
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: int = 11, in_bucket: int = IN_BUCKET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixture itself: every row of ``docs``, all columns under their names, as many times as ``mix`` takes it.
 
     Nulls, ties, repeated rows and empty tables are as for ``mix``. With up to 100,000 sources texts are
@@ -124,6 +124,6 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3,
     names = docs.columns
     docs, (id_col, text_col, source_col) = numbered(docs, id_col, text_col, source_col)
     rows = _keyed(docs, seed, id_col, text_col, source_col)
-    plan = _plan(settle(rows.select("__source", "__u", "__place", "__size")), weights, most, in_bucket)
+    plan = _plan(settle(rows.select("__source", "__u", "__place", "__size")), weights, most)
     rows = _copied(rows, plan).where("__copies > 0")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns).toDF(*names)

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import IN_BUCKET, join_keyed, running_sum, settle, text_of, unit_hash
+from quern.llm.common import join_keyed, root_of, running_sum, settle, text_of, unit_hash
 
 
-def shard(docs: DataFrame, shards: int = 16, seed: int = 7, in_bucket: int = IN_BUCKET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Deal documents into ``shards`` shards of equal counts whose sources mix as the corpus does.
 
     Rows are shuffled within each source by a seeded hash and ranked; a row's fractional rank is
     (rank - jitter) / rows of its source, the jitter (one per source) spreading small sources. Rows
     sorted by fractional rank are cut into shards whose counts differ by one at most (law ``rows``).
-    Ranks are exact and made in two steps over buckets of about ``in_bucket`` rows, whose number grows
-    with the rows, so no source is ranked in one task. Texts are read once; narrow rows are written out.
+    Ranks are exact and made in two steps over buckets whose number and rows grow with
+    the root of the rows, so no source is ranked in one task. Texts are read once; narrow rows are written out.
 
     One row per input row: doc_id, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot (0, 1, ...
     in each shard), grown_shard (null under this law). A null text has no bytes; a null source is a
@@ -32,9 +34,9 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 7, in_bucket: int = IN_
     rows = settle(rows.withColumn("__u", unit_hash(F.col("doc_id"), F.col("text_crc32"), seed=seed)).withColumn("__one", F.lit(1).cast("long")))
     counts = settle(rows.groupBy("__source").agg(F.count(F.lit(1)).alias("__n")))
     total = counts.agg(F.sum("__n")).first()[0] or 0
-    buckets = 1 + total // in_bucket
+    buckets = 1 + isqrt(total)
     ranked = join_keyed(rows, counts, ["__source"], "__n", F.col("__u"))
-    ranked = ranked.withColumn("__bucket", F.expr(f"floor(__u * (1L + __n div {in_bucket}))"))
+    ranked = ranked.withColumn("__bucket", F.expr(f"floor(__u * {root_of('__n')})"))
     ranked = running_sum(ranked, ["__source"], "__bucket", [F.col("__u"), F.col("doc_id"), F.col("size")], "__one", "__rank")
     jitter = unit_hash(F.col("__source"), F.col("__source").isNull(), seed=seed + 1)
     ranked = ranked.withColumn("__frac", (F.col("__rank") - jitter) / F.col("__n"))
