@@ -1,4 +1,4 @@
-"""Gradient-boosted trees of depth two, fitted in numpy and written out as SQL."""
+"""Gradient-boosted trees, fitted in numpy and written out as SQL."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ def _leaf(g: np.ndarray, h: np.ndarray, rows: np.ndarray, rate: float) -> float:
     return float(-rate * g[rows].sum() / (h[rows].sum() + 1.0)) if len(rows) else 0.0
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 24, rate: float = 0.4) -> list:
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 24, rate: float = 0.4, depth: int = 2) -> list:
     """Trees as nested (feature, threshold, left, right) with numbers as leaves; their sum is a log odds."""
     z, out = np.zeros(len(y)), []
     for _ in range(trees):
@@ -39,7 +39,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 24, rate: float = 0.4) -> l
             low = x[rows, f] <= t
             return (f, t, grow(rows[low], depth - 1), grow(rows[~low], depth - 1))
 
-        tree = grow(every, 2)
+        tree = grow(every, depth)
         out.append(tree)
         z += np.array([value(tree, row) for row in x])
     return out

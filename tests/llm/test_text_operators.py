@@ -8,7 +8,7 @@ import pytest
 
 from quern.llm.decontaminate import contamination, decontaminate
 from quern.llm.line_dedup import line_dedup
-from quern.llm.pii import KINDS, find_pii, luhn
+from quern.llm.pii import EVERY, KINDS, find_pii, luhn, mod97
 from quern.llm.toxicity import drop_toxic, fit, toxicity
 
 SCHEMA = "doc_id long, text string"
@@ -85,7 +85,7 @@ def test_pii(spark):
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         every = [x for x in r.spans.split(",") if x]
         assert set(filter(None, text.split(","))) <= set(every)
-        assert every == sorted(every, key=lambda x: (int(x.split(":")[1]), KINDS.index(x.split(":")[0]), int(x.split(":")[2])))
+        assert every == sorted(every, key=lambda x: (int(x.split(":")[1]), EVERY.index(x.split(":")[0]), int(x.split(":")[2])))
         added += len(every) - len(spans)
     assert added > 0
     one = find_pii(spark.createDataFrame([(1, "mail a@b.co, phone +1 (843) 555-7672 10.0.0.1 end")], SCHEMA)).first()
@@ -93,6 +93,31 @@ def test_pii(spark):
     assert find_pii(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+#: Texts that the model was not fitted to, and what of them is personal.
+LEARNED = [
+    ("mail jane at corner-shop dot org today", "jane at corner-shop dot org"),
+    ("call 020 7946 0958 now", "020 7946 0958"),
+    ("phone: 01 23 45 67 89", "01 23 45 67 89"),
+    ("password: hunter2xyz!", "hunter2xyz!"),
+    ('$$$ token = "3fdf5a35c7b8d733c0b5c7d364eda8ac88d929d1"###', "3fdf5a35c7b8d733c0b5c7d364eda8ac88d929d1"),
+    ("use ghp_abcdefghijabcdefghijabcdefghij012345 here", "ghp_abcdefghijabcdefghijabcdefghij012345"),
+    ("IBAN DE89 3704 0044 0532 0130 00 end", "DE89 3704 0044 0532 0130 00"),
+    ("SSN 123-45-6789", "123-45-6789"),
+    ("host 2001:db8::ff00:42 up", "2001:db8::ff00:42"),
+]
+CLEAN = ["sha256: " + "ab12" * 16, "order 2024-01-02 12 345 678", "my password is required", "the token ring network", "x" * 5000, "look at that. Of course", "at 10:20:30 and 11:22:33", ""]
+
+
+def test_learned_pii(spark):
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([*[t for t, _ in LEARNED], *CLEAN])], SCHEMA)
+    got = {r.doc_id: r.spans for r in find_pii(frame).collect()}
+    for i, (text, part) in enumerate(LEARNED):
+        _, start, end = got[i].split(":")
+        assert text[int(start) : int(end)] == part
+    assert all(not got[len(LEARNED) + i] for i in range(len(CLEAN)))
+    assert mod97("DE89 3704 0044 0532 0130 00") == 1 and mod97("DE88 3704 0044 0532 0130 00") == 0
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     words = [f"word{k}" for k in range(300)]
