@@ -37,8 +37,8 @@ LOOSE = {
     "email": rf"(?i)(?<!{_LOCAL}){_LOCAL}++(?: ?+(?:\(at\)|\[at\]|\{{at\}}) ?+[A-Za-z0-9-]++ ?+(?:\.|\(dot\)|\[dot\]|\{{dot\}}|dot ) ?+| at [A-Za-z0-9-]++ ?+(?:\(dot\)|\[dot\]|dot ) ?+)[A-Za-z]{{2,12}}+",
     "ip": r"(?<![0-9])[0-9]{1,3}+(?:\[\.\]|\(\.\)| ?\[dot\] ?)[0-9]{1,3}+(?:\[\.\]|\(\.\)| ?\[dot\] ?|\.)[0-9]{1,3}+(?:\[\.\]|\(\.\)| ?\[dot\] ?|\.)[0-9]{1,3}+(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ .-]?[0-9]{4}[ .-]?[0-9]{4}[ .-]?[0-9]{4}|3[47][0-9]{2}[ .-]?[0-9]{6}[ .-]?[0-9]{5})(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z.+/-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9A-Za-z]|[.-][0-9])",
-    "secret": rf"(?<=(?i:{_NAMED})[\"']?\s?(?:[:=]|=>)\s?[\"']?)[^\s\"',;<>]{{6,200}}+"
+    "phone": r"(?=[0-9(+])(?<![0-9A-Za-z.+/-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9A-Za-z]|[.-][0-9])",
+    "secret": rf"(?<=[\s:=>\"'])(?<=(?i:{_NAMED})[\"']?\s?(?:[:=]|=>)\s?[\"']?)[^\s\"',;<>]{{6,200}}+"
     r"|(?<![A-Za-z0-9_-])(?:A[KS]IA[A-Z0-9]{16}|gh[a-z]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9_-]{20,}+|xox[a-z]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_.-]{8,}+)"
     r"|(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/_-]{32,512}+={0,2}+(?![A-Za-z0-9+/=_.-])"
     r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
@@ -51,13 +51,15 @@ LOOSE = {
 _MARK = {
     ("email", 0): "contains(t, '@')",
     ("phone", 0): "contains(t, '+')",
-    ("email", 1): r"t rlike '(?i)[({\\[ ]at[)}\\] ]'",
+    ("email", 1): "(contains(t, '(at)') or contains(t, '[at]') or contains(t, '{at}') or (contains(t, ' at ') and contains(t, 'dot')) or contains(t, '(AT)') or contains(t, '[AT]') or contains(t, '(At)') or contains(t, '[At]'))",
     ("ip", 1): "(contains(t, '[.]') or contains(t, '(.)') or contains(t, '[dot]'))",
-    ("secret", 1): r"t rlike '(?i)passw|passp|pwd|secret|token|key|credential|://[^/ ]+@|[A-Za-z0-9+/_-]{20}'",
-    ("iban", 1): "t rlike '[A-Z]{2}[0-9]{2}'",
-    ("id", 1): "t rlike '[0-9]-[0-9]{2}-[0-9]'",
-    ("ip6", 1): "t rlike '[0-9A-Fa-f]:[0-9A-Fa-f:]{2}'",
+    ("secret", 1): "(named or (has_digit and t rlike '[0-9][A-Za-z0-9+/_-]{8}|[A-Za-z+/_-]{8}[0-9]'))",
+    ("iban", 1): "has_digit and t rlike '[A-Z][0-9]{2} ?[A-Z0-9]'",
+    ("id", 1): "has_digit and t rlike '[0-9]-[0-9]{2}-[0-9]'",
+    ("ip6", 1): "has_digit and contains(t, ':') and t rlike '[0-9A-Fa-f]:[0-9A-Fa-f:]{2}'",
 }
+#: What of the names of secrets is looked for before patterns are run, in the cases they are written in.
+_PARTS = [form for part in ("assw", "assphr", "pwd", "ecret", "oken", "_key", "-key", "pikey", "esskey", "atekey", "redential", "://", "-----begin") for form in sorted({part, part.upper(), part.title()})]
 BEFORE, AFTER = 24, 8
 _HINTS = {
     "email": r"(?i)e-?mail|contact|write|reach",
@@ -265,7 +267,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             mark = _MARK.get((kind, level), "has_digits" if kind != "email" else "true")
             found[f"m_{kind}{level}"] = F.expr(f"CASE WHEN {mark} THEN regexp_extract_all(t, {p}, 0) ELSE CAST(array() AS array<string>) END")
         if not level:
-            rows = rows.withColumn("has_digits", F.expr("t rlike '[0-9][^A-Za-z]{6}'"))
+            named = " or ".join(f"contains(t, '{part}')" for part in _PARTS)
+            rows = rows.withColumn("has_digit", F.expr("t rlike '[0-9]'"))
+            rows = rows.withColumns({"has_digits": F.expr("has_digit and t rlike '[0-9][^A-Za-z]{6}'"), "named": F.expr(named)})
         rows = rows.withColumns(found)
         rows = rows.withColumns({f"p_{kind}{level}": F.expr(f"CASE WHEN size(m_{kind}{level}) > 0 THEN split(t, {_quoted(patterns[kind])}, -1) END") for kind in patterns})
         rows = rows.withColumns({f"s_{kind}{level}": F.expr(_places(f"m_{kind}{level}", f"p_{kind}{level}")) for kind in patterns})
