@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from quern.llm.anchors import Anchors, sliding_min, word_units
-from quern.llm.substring_dedup import substring_dedup
+from quern.llm.repeats import Plan
+from quern.llm.substring_dedup import by_factors, factors, substring_dedup
 from quern.llm.suffix_dedup import suffix_dedup
 from quern.llm.suffixes import equal_prefixes, suffix_array
 
@@ -116,3 +117,21 @@ def test_word_units():
     units, start, end = word_units(np.frombuffer(b"  ab cd\tab\n", dtype=np.uint8))
     assert start.tolist() == [2, 5, 8] and end.tolist() == [4, 7, 10] and units[0] == units[2] != units[1]
     assert len(word_units(np.frombuffer(b"x" * 300_000 + b" y", dtype=np.uint8))[0]) == 2
+
+
+def test_factors():
+    """A greedy parse: factors run as far as both spans agree, and what a boundary cuts is looked up again."""
+    rng = np.random.default_rng(3)
+    first = rng.integers(0, 1 << 60, 60, dtype=np.uint64)
+    second = np.concatenate([first[5:40], rng.integers(0, 1 << 60, 3, dtype=np.uint64), first[30:58]])
+    units, starts = np.concatenate([first, second]), np.array([0, 60])
+    at = np.array([*range(0, 41), *range(60, 60 + len(second) - 19)])
+    index = {units[x : x + 20].tobytes(): x for x in reversed(range(41))}
+    reference = np.array([index.get(units[x : x + 20].tobytes(), -1) if x >= 60 else -1 for x in at])
+    assert factors(units, starts, at, reference, 20) == [(60, 5, 35), (98, 30, 28)]
+    doc, place = np.where(at < 60, 1, 2), np.where(at < 60, at, at - 60)
+    plan = Plan(True, 20, 8, True, by_factors, 1, False)
+    assert by_factors(units, starts, at, doc, place, plan).tolist() == (reference >= 0).tolist()
+    # Hashes that say nothing: units still decide.
+    plan.anchors.window_hashes = lambda units, at: np.zeros(len(at), dtype=np.uint64)
+    assert by_factors(units, starts, at, doc, place, plan).tolist() == (reference >= 0).tolist()
