@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.arrays import PLAIN, pieces
@@ -129,11 +129,13 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """A machine fitted to ``most_rows`` labelled documents at most, as many of either label as there are, up to half each.
 
     The rows are those with the least hash of their id; the texts are found by a broadcast of these
-    at most ``most_rows`` ids, and only their terms come to the driver.
+    at most ``most_rows`` ids, and only their terms come to the driver, ``most_bytes`` of them at most
+    (in the order of the hashes). Of several rows of one id the one whose terms are least counts. Null
+    ids and labels other than 0 and 1 are left out; of unequal labels of one id the greater counts.
     """
     known = labels.select(F.col(id_col).cast("string").alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y in (0, 1)")
     known = known.groupBy("k").agg(F.max("y").alias("y")).where(~held_out("k"))
@@ -143,19 +145,21 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, id_col: str
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(most_rows // 2)
         sample = part if sample is None else sample.unionAll(part)
-    rows = docs.select(F.col(id_col).cast("string").alias("k"), _text(docs, text_col).alias("t")).join(F.broadcast(sample), "k").select("y", "t")
+    rows = docs.select(F.col(id_col).cast("string").alias("k"), _text(docs, text_col).alias("t")).join(F.broadcast(sample), "k").select("k", "y", "t")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
         for batch in batches:
-            texts = batch.column(1)
-            got = [terms(texts[k].as_py(), seen).tobytes() for k in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, type=pa.binary())], names=["y", "terms"])
+            texts = batch.column(2)
+            got = [np.sort(terms(texts[k].as_py(), seen)).tobytes() for k in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, type=pa.binary())], names=["k", "y", "terms"])
 
-    # Repeated rows of one id could be many; no more than twice the bound are taken.
-    found = rows.mapInArrow(work, "y int, terms binary").limit(2 * most_rows).collect()
+    found = rows.mapInArrow(work, "k string, y int, terms binary").groupBy("k", "y").agg(F.min("terms").alias("terms"))
+    # most_rows rows at most, so one task can add them up.
+    upto = F.sum(F.octet_length("terms")).over(Window.orderBy(F.xxhash64("k"), "k").rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("y", "terms").collect()
     pairs = sorted((r["y"], bytes(r["terms"])) for r in found)
-    return train([(y, np.sort(np.frombuffer(t, dtype=np.int32))) for y, t in pairs], counts.get(1, 0) / total if total else 0.0)
+    return train([(y, np.frombuffer(t, dtype=np.int32)) for y, t in pairs], counts.get(1, 0) / total if total else 0.0)
 
 
 def _scores(texts: Iterable[bytes], machine: Machine, seen: dict) -> list[float]:
@@ -183,7 +187,11 @@ def toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs``, all columns, without the rows whose score reaches ``threshold``."""
+    """``docs``, all columns under their names, without the rows whose score reaches ``threshold``.
+
+    Scores are those of ``toxicity``: null and empty texts are judged as texts without known terms,
+    of repeated rows all stay or all go, an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     at = docs.columns.index(text_col)
     carried = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])

@@ -4,12 +4,13 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quern.llm.decontaminate import contamination, decontaminate
 from quern.llm.line_dedup import line_dedup
 from quern.llm.pii import EVERY, KINDS, find_pii, luhn, mod97
-from quern.llm.toxicity import drop_toxic, fit, toxicity
+from quern.llm.toxicity import Machine, drop_toxic, fit, toxicity, train
 
 SCHEMA = "doc_id long, text string"
 
@@ -152,3 +153,32 @@ def test_lines(spark):
     few = {r.doc_id: r for r in line_dedup(spark.createDataFrame(sites, "doc_id long, text string, source string"), least_sites=9).collect()}
     assert few[3].n_removed == 0
     assert line_dedup(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
+
+
+def test_machine_sums_over_pairs():
+    rng = np.random.default_rng(1)
+    m = Machine(np.arange(20, dtype=np.int32), 0.3, rng.normal(size=20), rng.normal(size=(20, 4)))
+    present = np.array([1, 4, 9, 17])
+    pairs = sum(float(m.v[a] @ m.v[b]) for k, a in enumerate(present) for b in present[k + 1 :])
+    assert m.log_odds(present) == pytest.approx(0.3 + float(m.w[present].sum()) + pairs)
+
+
+def test_machine_learns_a_pair():
+    """Term 1 or 2 alone is harmless, both together are toxic: no sum of single weights says so as sharply."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(3000):
+        a, b = rng.random(2) < 0.5
+        rest = rng.choice(np.arange(10, 40), 5, replace=False)
+        rows.append((int(a and b), np.sort(np.array([*([1] if a else []), *([2] if b else []), *rest], dtype=np.int32))))
+    m = train(rows[:2400], 0.25)
+    z = {(a, b): np.mean([m.log_odds(m.table[t][m.table[t] >= 0]) for y, t in rows[2400:] if ((1 in t) == a) and ((2 in t) == b)]) for a in (False, True) for b in (False, True)}
+    assert z[True, True] > 0 > max(z[True, False], z[False, True], z[False, False])
+    # What a linear model cannot have: an effect of the two beyond the sum of their own.
+    assert z[True, True] - z[True, False] - z[False, True] + z[False, False] > 0.5
+
+
+def test_repeated_ids_train_once(spark):
+    docs = spark.createDataFrame([(1, "vile one"), (1, "vile one"), (2, "fine two"), (2, "other")], SCHEMA)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, 1)], "doc_id long, toxic int")
+    assert fit(docs, labels).score(np.zeros(0, dtype=np.int32)) == fit(docs, labels).score(np.zeros(0, dtype=np.int32))
