@@ -9,12 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quern.llm.arrays import PLAIN, groups, pieces, spread, word_ids
+from quern.llm.common import settle
 
 #: Bytes of training text in a shard: one suffix array.
 SHARD_BYTES = 4 << 20
 SCORES = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_at long"
+#: What a pass over one part of the benchmark leaves to the next.
+STATE = "hits binary, items array<string>, longest long, longest_at long"
+SCORE_NAMES, STATE_NAMES = ([f.split()[0] for f in s.split(", ")] for s in (SCORES, STATE))
 
 
 class TestIndex:
@@ -134,60 +139,79 @@ def judge(texts: list[bytes], index: TestIndex) -> tuple[list[np.ndarray], list[
     return [hit[s : s + n] for s, n in zip(first, sizes, strict=False)], items, length, start, sizes.tolist()
 
 
-def scored(texts: list[bytes], indexes: list, share: int) -> dict[str, list]:
-    """The columns of SCORES for some texts, over every part of the benchmark."""
-    out: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_at")}
-    hits = items = sizes = length = start = None
-    for part in indexes:
-        h, i, n_longest, at, sizes = judge(texts, part.value)
-        if hits is None:
-            hits, items, length, start = h, i, n_longest, at
-        else:
-            hits = [a | b for a, b in zip(hits, h, strict=True)]
-            items = [a | b for a, b in zip(items, i, strict=True)]
-            better = n_longest > length
-            length, start = np.where(better, n_longest, length), np.where(better, at, start)
-    for k in range(len(texts)):
-        n, hit = sizes[k], int(hits[k].sum())
-        out["n_words"].append(n)
-        out["n_hit"].append(hit)
-        out["n_items"].append(len(items[k]))
-        out["items_sha256"].append(hashlib.sha256(",".join(sorted(items[k])).encode()).hexdigest())
-        out["contaminated"].append(hit > 0 and share * hit >= n)
-        out["longest"].append(int(length[k]))
-        out["longest_at"].append(int(start[k]) if length[k] else None)
-    return out
-
-
-def _indexes(benchmark: DataFrame, window: int, part_bytes: int, item_col: str, text_col: str) -> list:
-    """Broadcasts of the benchmark in parts of ``part_bytes`` of text at most (a longer item is a part of its own)."""
-    context = benchmark.sparkSession.sparkContext
+def scored(texts: list[bytes], index: TestIndex, before: list[dict]) -> tuple[list[np.ndarray], list[set[str]], np.ndarray, np.ndarray, list[int]]:
+    """What `judge` gives, together with what earlier parts of the benchmark gave (``before``: rows of STATE, or none)."""
+    hits, items, length, start, sizes = judge(texts, index)
+    for k, row in enumerate(before):
+        hits[k] |= np.unpackbits(np.frombuffer(row["hits"] or b"\0", dtype=np.uint8), count=sizes[k]).astype(bool)
+        items[k] |= set(row["items"])
+        if row["longest"] >= length[k]:
+            length[k], start[k] = row["longest"], row["longest_at"]
+    return hits, items, length, start, sizes
+
+
+def _state(hits: list[np.ndarray], items: list[set[str]], length: np.ndarray, start: np.ndarray, sizes: list[int], share: int) -> list[pa.Array]:
+    return [pa.array([np.packbits(h).tobytes() for h in hits], pa.binary()), pa.array([sorted(i) for i in items], pa.list_(pa.string())), pa.array(length, pa.int64()), pa.array(start, pa.int64())]
+
+
+def _scores(hits: list[np.ndarray], items: list[set[str]], length: np.ndarray, start: np.ndarray, sizes: list[int], share: int) -> list[pa.Array]:
+    n_hit = [int(h.sum()) for h in hits]
+    names = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
+    guilty = [h > 0 and share * h >= n for h, n in zip(n_hit, sizes, strict=True)]
+    places = [int(at) if n else None for n, at in zip(length, start, strict=True)]
+    return [pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(names, pa.string()), pa.array(guilty, pa.bool_()), pa.array(length, pa.int64()), pa.array(places, pa.int64())]
+
+
+def _parts(benchmark: DataFrame, part_bytes: int, item_col: str, text_col: str) -> Iterator[tuple[list[tuple[str, bytes]], bool]]:
+    """The benchmark in parts of ``part_bytes`` of text at most (a longer item is a part of its own), and whether each is the last."""
     rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    items = ((r[0], r[1].encode()) for r in rows.toLocalIterator())
-    return [context.broadcast(TestIndex(part, window)) for part in groups(items, part_bytes)] or [context.broadcast(TestIndex([], window))]
+    held: list[tuple[str, bytes]] = []
+    for part in groups(((r[0], r[1].encode()) for r in rows.toLocalIterator()), part_bytes):
+        if held:
+            yield held, False
+        held = part
+    yield held, True
 
 
-def _run(docs: DataFrame, benchmark: DataFrame, window: int, share: int, part_bytes: int, id_col: str, text_col: str, item_col: str, bench_text: str, keep: bool) -> DataFrame:
-    indexes = _indexes(benchmark, window, part_bytes, item_col, bench_text)
-    at = len(docs.columns)
-    carried = docs.toDF(*[f"c{k}" for k in range(at)]).withColumn("t", docs_text(docs, text_col)) if keep else docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
+def _pass(rows: DataFrame, head: int, index, share: int, last: bool, keep: bool) -> DataFrame:
+    """``rows`` (``head`` columns, the text ``t``, and STATE after another pass) judged by one more part of the benchmark."""
+    known = len(rows.columns) > head + 1
+    schema = StructType(rows.schema.fields[: head if last else head + 1])
+    if not keep:
+        schema = StructType(schema.fields + StructType.fromDDL(SCORES if last else STATE).fields)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(head)
             for group in groups(((k, texts[k].as_py()) for k in range(batch.num_rows)), SHARD_BYTES):
-                got = scored([t for _, t in group], indexes, share)
                 part = batch.slice(group[0][0], len(group))
+                own = part.select(list(range(head if last else head + 1)))
+                got = scored([t for _, t in group], index.value, part.select(STATE_NAMES).to_pylist() if known else [])
                 if keep:
-                    yield part.drop_columns(["t"]).filter(pa.array([not x for x in got["n_hit"]], type=pa.bool_()))
+                    yield own.filter(pa.array([not h.any() for h in got[0]], type=pa.bool_()))
                 else:
-                    types = [pa.int64()] * 3 + [pa.string(), pa.bool_()] + [pa.int64()] * 2
-                    yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v, kind) for v, kind in zip(got.values(), types, strict=True)]], names=["doc_id", *got])
+                    names = SCORE_NAMES if last else STATE_NAMES
+                    yield pa.RecordBatch.from_arrays([*own.columns, *(_scores if last else _state)(*got, share)], names=[*own.schema.names, *names])
+
+    return rows.mapInArrow(work, schema)
 
+
+def _run(docs: DataFrame, benchmark: DataFrame, window: int, share: int, part_bytes: int, id_col: str, text_col: str, item_col: str, bench_text: str, keep: bool) -> DataFrame:
+    """One pass over the documents for each part; between passes they are settled, and the part is taken back."""
+    context = benchmark.sparkSession.sparkContext
     if keep:
-        schema = carried.drop("t").schema
-        return carried.mapInArrow(work, schema).toDF(*docs.columns)
-    return carried.mapInArrow(work, f"doc_id {dict(carried.dtypes)['doc_id']}, {SCORES}")
+        head = len(docs.columns)
+        rows = docs.toDF(*[f"c{k}" for k in range(head)]).withColumn("t", docs_text(docs, text_col))
+    else:
+        head = 1
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
+    for part, last in _parts(benchmark, part_bytes, item_col, bench_text):
+        index = context.broadcast(TestIndex(part, window))
+        rows = _pass(rows, head, index, share, last, keep)
+        if not last:
+            rows = settle(rows)
+            index.unpersist()
+    return rows.toDF(*docs.columns) if keep else rows
 
 
 def docs_text(docs: DataFrame, text_col: str):
@@ -200,8 +224,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
 
     Each task cuts its documents into shards of about 4 MB, builds the suffix array of a shard's
     words to a depth of ``window`` words and binary-searches every benchmark suffix in it. Runs of
-    consecutive hits give the longest verbatim match and its place. The benchmark is broadcast in
-    parts of ``part_bytes`` at most, and every part is searched.
+    consecutive hits give the longest verbatim match and its place. Of the benchmark, ``part_bytes``
+    of text at most are broadcast at once; a larger one takes a pass over the documents for each part,
+    what the passes found being joined by document where it stands.
 
     A window is ``window`` words of one item, or the whole of a shorter item. One row per input row:
     doc_id, n_words, n_hit (words inside an occurrence of a window), n_items, items_sha256 (their

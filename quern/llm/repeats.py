@@ -358,7 +358,8 @@ def repeats(docs: DataFrame, words: bool, window: int, gram: int, by_place: bool
     at_once = 2 * spark.sparkContext.defaultParallelism
     chunks = max(at_once, -(-total // CHUNK_BYTES))
     plan = Plan(words, window, gram, by_place, resolve, max(at_once, -(-total // BUCKET_BYTES)), with_text, hot)
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    # By id and text, so that rows without an id, or of one id, are not all in one chunk.
+    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "t"), F.lit(chunks)))
     schema = f"doc_id long, n_{unit} long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     # As many tasks as buckets, up to four times the usual number: small answers take long to find.
     tasks = min(plan.buckets, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
