@@ -74,17 +74,16 @@ def train(rows: list[tuple[int, np.ndarray]], rate: float, most_terms: int = 20_
         return Machine(table, floor, np.zeros(0), np.zeros((0, rank)))
     sizes = np.array([len(t) for _, t in rows], dtype=np.int64)
     flat = np.concatenate([t for _, t in rows]) if sizes.sum() else np.zeros(0, dtype=np.int32)
-    of = np.repeat(labels, sizes)
-    a = np.bincount(flat, weights=of, minlength=1 << BITS)
+    a = np.bincount(flat[np.repeat(labels == 1, sizes)], minlength=1 << BITS).astype(np.float64)
     n = np.bincount(flat, minlength=1 << BITS)
     b = n - a
     spread = np.sqrt(a / pos**2 + b / neg**2 + 1 / pos**2 + 1 / neg**2)
     apart = np.where(n >= least_docs, np.abs(a / pos - b / neg) / spread, 0.0)
     chosen = np.argsort(-apart, kind="stable")[: min(most_terms, int((apart > 2).sum()))]
     table[chosen] = np.arange(len(chosen), dtype=np.int32)
-    doc = np.repeat(np.arange(len(rows)), sizes)
-    index = table[flat]
-    doc, index = doc[index >= 0], index[index >= 0].astype(np.int64)
+    used = table[flat] >= 0
+    doc, index = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[used], table[flat[used]].astype(np.int64)
+    del flat, used
     first = np.searchsorted(doc, np.arange(len(rows) + 1))
     rng = np.random.default_rng(seed)
     w, v, w0 = np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), rank)), 0.0
@@ -157,9 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_bytes:
     found = rows.mapInArrow(work, "k string, y int, terms binary").groupBy("k", "y").agg(F.min("terms").alias("terms"))
     # most_rows rows at most, so one task can add them up.
     upto = F.sum(F.octet_length("terms")).over(Window.orderBy(F.xxhash64("k"), "k").rowsBetween(Window.unboundedPreceding, 0))
-    found = found.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("y", "terms").collect()
-    pairs = sorted((r["y"], bytes(r["terms"])) for r in found)
-    return train([(y, np.frombuffer(t, dtype=np.int32)) for y, t in pairs], counts.get(1, 0) / total if total else 0.0)
+    # As Arrow, all terms come in a few buffers, which are read where they are.
+    found = found.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("y", "terms").orderBy("y", "terms").toArrow()
+    pairs = [(y.as_py(), np.frombuffer(t.as_buffer(), dtype=np.int32) if len(t.as_buffer()) else np.zeros(0, dtype=np.int32)) for y, t in zip(found["y"], found["terms"], strict=True)]
+    return train(pairs, counts.get(1, 0) / total if total else 0.0)
 
 
 def _scores(texts: Iterable[bytes], machine: Machine, seen: dict) -> list[float]:
