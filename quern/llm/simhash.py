@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.arrays import pieces
 from quern.llm.common import bitmap, bitmap_bits, join_keyed, marked, numbered, settle, text_of
-from quern.llm.components import components
+from quern.llm.components import WHOLE, components
 
 #: Fingerprints in a tile.
 TILE = 2048
@@ -237,7 +237,7 @@ def _grouped(docs: DataFrame, radius: int, width: int, seed: int, blocks: int |
     """doc_id, th, fp, root (of the component) and component_id of every row."""
     fps = settle(fingerprints(docs, width, seed, id_col, text_col))
     nodes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows")).withColumn("node", F.col("fp")))
-    found = components(links(nodes.select("node", "fp"), radius, blocks or key_blocks(nodes.count(), radius)))
+    found = components(links(nodes.select("node", "fp"), radius, blocks or key_blocks(nodes.count(), radius)), whole=WHOLE)
     nodes = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = settle(nodes.join(lowest, "root").select("fp", "root", "component_id", "rows"))

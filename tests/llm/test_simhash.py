@@ -131,3 +131,17 @@ def test_components_raise_when_rounds_run_out(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
     with pytest.raises(RuntimeError):
         components(path, 2)
+
+
+def test_links_finished_in_one_task(spark):
+    """A path, a ring, a star around its greatest node and repeated links, with and without rounds before."""
+    pairs = [(i, i + 1) for i in range(40)] + [(200 + i, 200 + (i + 7) % 20) for i in range(20)] + [(999, 300 + i) for i in range(30)] * 2 + [(5, 5), (-3, -9)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    root = roots(sorted({x for p in pairs for x in p}), lambda a, b: (a, b) in pairs or (b, a) in pairs)
+    low = {}
+    for x, r in root.items():
+        low[r] = min(low.get(r, x), x)
+    wanted = {x: low[r] for x, r in root.items() if low[r] != x}
+    for whole in (0, 60, 1000):
+        assert {r.node: r.root for r in components(edges, whole=whole).collect()} == wanted
+    assert components(edges.limit(0), whole=1000).collect() == []
