@@ -84,18 +84,28 @@ def _connect(label: np.ndarray, i: np.ndarray, j: np.ndarray, left: list, right:
             np.copyto(label, jumped)
 
 
+def _apart(fp: np.ndarray, i: object, j: object) -> np.ndarray:
+    """In how many bits the fingerprints at ``i`` differ from those at ``j``; ``fp`` has a row for each 64-bit word."""
+    total = np.bitwise_count(fp[0][i] ^ fp[0][j])
+    for word in fp[1:]:
+        total = np.add(total, np.bitwise_count(word[i] ^ word[j]), dtype=np.uint16)
+    return total
+
+
 def compare(group: np.ndarray, fp: np.ndarray, radius: int, rows: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of the same group within ``radius`` bits; enough of them to connect all such rows.
 
-    Rows come sorted by group and population count. In a group of over ``rows`` rows each tile of so
-    many is held against the rows from it on whose population counts are in reach, by one
-    exclusive-or and bit count of the whole tile. Smaller groups are compared together: row i with
-    row i + s for s = 1, 2, ... A pair stands only if its rows are not yet connected, so that a group
-    of n alike fingerprints yields n - 1 pairs and not n * n / 2.
+    Fingerprints of several words have a row of ``fp`` for each. Rows come sorted by group and
+    population count. In a group of over ``rows`` rows each tile of so many is held against the rows
+    from it on whose population counts are in reach, by one exclusive-or and bit count of the whole
+    tile. Smaller groups are compared together: row i with row i + s for s = 1, 2, ... A pair stands
+    only if its rows are not yet connected, so that a group of n alike fingerprints yields n - 1
+    pairs and not n * n / 2.
     """
-    n = len(fp)
+    fp = np.atleast_2d(fp)
+    n = fp.shape[1]
     label = np.arange(n)
-    ones = np.bitwise_count(fp).astype(np.int16)
+    ones = np.bitwise_count(fp).sum(axis=0, dtype=np.int16)
     begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if n else np.zeros(0, dtype=np.int64)
     size = np.diff(np.append(begin, n))
     left, right = [], []
@@ -104,7 +114,7 @@ def compare(group: np.ndarray, fp: np.ndarray, radius: int, rows: int = 64) -> t
         for at in range(first, last, rows):
             end = min(at + rows, last)
             stop = first + int(np.searchsorted(mine, mine[end - 1 - first] + radius, "right"))
-            near = np.bitwise_count(fp[at:end, None] ^ fp[None, at:stop]) <= radius
+            near = _apart(fp, np.s_[at:end, None], np.s_[None, at:stop]) <= radius
             i, j = np.nonzero(near)
             _connect(label, at + i[j > i], at + j[j > i], left, right)
     last = np.repeat(np.cumsum(size) - 1, size)
@@ -116,7 +126,7 @@ def compare(group: np.ndarray, fp: np.ndarray, radius: int, rows: int = 64) -> t
             alive = alive[ones[alive + step] - ones[alive] <= radius]
         if not len(alive):
             break
-        near = alive[np.bitwise_count(fp[alive] ^ fp[alive + step]) <= radius]
+        near = alive[_apart(fp, alive, alive + step) <= radius]
         _connect(label, near, near + step, left, right)
         step += 1
     none = np.zeros(0, dtype=np.int64)
